@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,23 @@ from pyspark.sql import functions as F
 
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers that may not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_loomql_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="loomql-code-")  # read by the driver alone, which serves it
+    at = f"{folder}/loomql.zip"
+    root = Path(__file__).resolve().parents[2]
+    with zipfile.ZipFile(at, "w") as packed:
+        for source in sorted((root / "loomql").rglob("*.py")):
+            packed.write(source, source.relative_to(root))
+    context.addPyFile(at)
+    context._loomql_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
