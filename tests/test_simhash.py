@@ -1,0 +1,58 @@
+import random
+import re
+
+from loomql.llm import simhash
+
+WORD = re.compile(r"[^\s.,;:!?\"'()\[\]{}<>*#%&/\\|`~^+=-]+")
+
+
+def words(text):
+    return frozenset(WORD.findall(text.lower()))
+
+
+def close(a, b):
+    return bool(a and b) and 10 * len(a & b) >= 7 * len(a | b)
+
+
+def made(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_a_chain_of_templates_is_not_merged(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    shared = " ".join(word() for _ in range(6))
+    rows = [(i, shared + " " + " ".join(word() for _ in range(4))) for i in range(2000)]
+    rows += [(5000 + i, f"{'same'} {word()}") for i in range(500)]
+    assert simhash.near_duplicates(made(spark, rows)).count() == 0
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)]
+    rows = []
+    for i in range(0, 400, 4):
+        text = rng.choices(vocabulary, k=rng.choice([1, 2, 12, 30, 300]))
+        near = list(text)
+        near[0] = "changed"
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text).upper() + "!"), (i + 2, " ".join(near)), (i + 3, " ".join(text[::-1]))]
+    rows += [(900, ""), (901, None), (902, "--"), (None, rows[0][1]), (7, rows[7][1]), (7, rows[7][1])]
+    docs = made(spark, rows)
+    for block in (32_768, 50):
+        kept = [tuple(r) for r in simhash.keep_one(docs, block=block).collect()]
+        stay = [words(t) for _, t in kept if t and words(t)]
+        assert len(set(stay)) == len(stay)
+        for i, text in set(rows) - set(kept):
+            assert any(close(words(text), s) for s in stay)
+        assert {r for r in rows if not r[1] or not words(r[1])} <= set(kept)
+        text_of = dict(rows)
+        listed = simhash.near_duplicates(docs, block=block).collect()
+        assert all(close(words(text_of[r["doc_id"]]), words(text_of[r["kept_doc_id"]])) for r in listed)
+        assert sum(r["copies"] - (r["doc_id"] == r["kept_doc_id"]) for r in listed) == len(rows) - len(kept)
+
+
+def test_equal_sets_and_near_sets_have_the_first_as_leader():
+    import numpy as np
+
+    sets = [np.array(x, np.uint32) for x in ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [11, 2, 3, 4, 5, 6, 7, 8, 9, 10], [11, 12, 3, 4, 5, 6, 7, 8, 9, 10], [1, 2])]
+    assert simhash.leaders(sets).tolist() == [0, 0, 2, 3]
