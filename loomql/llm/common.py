@@ -11,9 +11,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if not found:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomql-"))
         found = context.getCheckpointDir()
@@ -56,9 +57,113 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the
     lineage ends there, so a lost executor costs at most one stage."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/loomql-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._loomql_path = path
+    return back
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table that staged() made, once nothing will read it again."""
+    path, jvm = getattr(df, "_loomql_path", None), df.sparkSession._jvm
+    if path:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
+    """For mapInArrow over rows sorted by `keys`: tables of about `least` rows
+    or more that hold whole groups of equal keys, equal rows side by side once."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = _unrepeated(batch)
+        if rows >= least:
+            new = np.zeros(batch.num_rows, bool)
+            before = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1, 1), batch]).combine_chunks()
+            for k in keys:
+                column = before.column(k)
+                new |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            if len(first):
+                yield pa.Table.from_batches([*held, batch.slice(0, first[0])]).combine_chunks()
+                batch, held, rows = batch.slice(first[0]), [], 0
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _unrepeated(batch: pa.RecordBatch) -> pa.RecordBatch:
+    if batch.num_rows < 2:
+        return batch
+    differ = np.zeros(batch.num_rows - 1, bool)
+    for column in batch.columns:
+        if pa.types.is_integer(column.type) and not column.null_count:
+            x = column.to_numpy()
+            differ |= x[1:] != x[:-1]
+        else:
+            return batch
+    return batch if differ.all() else batch.filter(pa.array(np.append(True, differ)))
+
+
+def ranked(df: DataFrame, order: list[Column], key: str, label: str) -> DataFrame:
+    """df with `part` and `rank`, staged: rows are spread by ranges of `order`,
+    which starts with the long column `key`, and numbered within part and key.
+    As `order` goes on beyond the key, a key that many rows hold is in many
+    parts; there are at most parts + keys pairs of part and key."""
+
+    def number(batches):
+        at, last, seen = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(b.schema.get_field_index(key)).to_numpy()
+            new = np.append(x[0] != last, x[1:] != x[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
+            rank = np.arange(len(x)) - start
+            rank[start < 0] = np.arange((start < 0).sum()) + seen
+            last, seen = x[-1], int(rank[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), at), pa.int32()), pa.array(rank, pa.int64())], names=[*b.schema.names, "part", "rank"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
+    return staged(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, schema), label)
+
+
+def filled(rows: DataFrame, runs: DataFrame, key: str, given: list[str]) -> DataFrame:
+    """rows (of ranked()) with the columns `given` of the run that holds each:
+    the last of its part and key that begins (`rank`) at or before its rank,
+    and `ahead`, the rows from that begin. One shuffle by part; no join."""
+    kinds = {f.name: f.dataType for f in runs.schema.fields}
+    plain = [f for f in rows.schema.fields if f.name not in ("part", "rank", key)]
+    both = rows.select("part", key, "rank", F.lit(True).alias("is_row"), *[f.name for f in plain], *[F.lit(None).cast(kinds[g]).alias(g) for g in given])
+    both = both.unionByName(runs.select("part", key, "rank", F.lit(False).alias("is_row"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in plain], *given))
+
+    def fill(batches):
+        held, begin = None, 0  # values and begin of the last run
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rank, is_row = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+            last = np.maximum.accumulate(np.where(is_row, -1, np.arange(len(rank))))
+            own = last >= 0
+            ahead = rank - np.where(own, rank[last], begin)
+            out = []
+            for i, g in enumerate(given):
+                x = b.column(b.schema.get_field_index(g)).fill_null(0).to_numpy()
+                out.append(np.where(own, x[last], held[i] if held else 0))
+            if own[-1]:
+                held, begin = [x[-1] for x in out], int(rank[last[-1]])
+            keep = pa.array(is_row)
+            columns = [b.column(1), *b.columns[4 : 4 + len(plain)], *map(pa.array, out), pa.array(ahead)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=[key, *[f.name for f in plain], *given, "ahead"])
+
+    schema = T.StructType([T.StructField(key, kinds[key]), *plain, *[T.StructField(g, kinds[g]) for g in given], T.StructField("ahead", T.LongType())])
+    return both.repartition("part").sortWithinPartitions("part", key, "rank", "is_row").mapInArrow(fill, schema)
 
 
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -71,8 +176,8 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     )
 
 
-def arrow_rows(fn: Callable[[list[dict]], Iterator[pa.RecordBatch]]) -> Callable:
-    """For mapInArrow: fn gets slices of at most 512 rows as lists of columns."""
+def arrow_rows(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
+    """For mapInArrow: fn gets record batches of at most 512 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,12 +227,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the lower-cased texts of a column without nulls: the 64-bit hash, row,
     first byte and end byte (both counted within the batch) of each word, in
     order. Words are runs of bytes other than ASCII space and punctuation. The
-    hash is a polynomial over random byte codes, so any batch gives the same."""
-    flat, offsets = utf8(pc.utf8_lower(column))
+    hash is a polynomial over random byte codes, so any batch gives the same.
+    Without `lower` the words are the same in number, their places those in the
+    text as it is."""
+    flat, offsets = utf8(pc.utf8_lower(column) if lower else column)
     if not len(flat):
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
@@ -154,7 +261,3 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         s, e = int(start[i]), int(end[i])
         sums[i] = (BYTE_CODE[flat[s:e]] * power("step", e - s)).sum(dtype=np.uint64)
     return mix(sums + (end - start).astype(np.uint64)), np.searchsorted(offsets, start, side="right") - 1, start, end
-
-
-def spark_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,8 +13,15 @@ batch share their sums. A space is the piece mark; a literal mark in the text
 becomes byte pieces, and one space put in front is taken off when decoding, so
 decode(encode(x)) == x for every x.
 
+Equal parts are known by a 64-bit hash; what is drawn is compared with the bytes
+of the text, and a row that differs, as two parts met in one hash, is drawn again
+from sums of its own.
+
 Cases. A null text gives null ids; an empty one no ids. A null row key hashes
-like any other value; rows equal in key and text get equal ids.
+like any other value; rows equal in key and text get equal ids. A long part (a
+run without a cut, LONG bytes or more) has sums of its own, of the same edges; a
+very long text is done in slices between cuts. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomql.llm.common import mix, utf8
+from loomql.llm.common import mix, ship, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -43,6 +50,8 @@ class Lattice:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
+        if n > np.iinfo(np.int16).max:
+            raise ValueError(f"{model}: {n} pieces; the tables hold ids of 16 bits")
         self.byte_ids = np.full(256, -1, np.int32)
         self.text: list[bytes] = [b""] * n
         normal = []
@@ -78,6 +87,9 @@ class Lattice:
             for b, kid in kids.items():
                 self.trie[node, b] = kid
         self.single = {raw for raw in self.text if raw and (raw[0] >= 0xC0 or len(raw) == 1)} - {self.text[i] for i in self.byte_ids if i >= 0} | {self.text[i] for i in normal}
+        self.sizes = np.array([len(x) for x in self.text], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
         #: per byte, so that sums over long parts stay in range; cancels in every ratio
         self.scale = 12.0
         self._forget()
@@ -215,7 +227,24 @@ class Lattice:
         out = np.empty(to[-1], np.int32)
         for i, k, ids in found:
             out[to[i] - 1 - k] = ids
-        return out, np.bincount(row, weights=pieces, minlength=len(offsets) - 1).astype(np.int64)
+        counts = np.bincount(row, weights=pieces, minlength=len(offsets) - 1).astype(np.int64)
+        if not self.spells(out, data):
+            if len(offsets) > 2:
+                each = [self.encode(data[a:b], np.array([0, b - a]), seeds[i : i + 1]) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]
+                return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+            base = lambda i: int(start[i] - offsets[row[i]])
+            own = [self._long(data[start[i] : end[i]], int(seeds[row[i]]), base(i))[::-1] for i in range(len(start))]
+            out, counts = np.array(sum(own, []), np.int32), np.array([sum(map(len, own))])
+        return out, counts
+
+    def spells(self, ids: np.ndarray, data: np.ndarray) -> bool:
+        """Whether the bytes of the pieces are those of the text."""
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        if ends[-1] != len(data):
+            return False
+        flat = self.flat[np.repeat(self.firsts[ids] - (ends - size), size) + np.arange(len(data))]
+        return np.array_equal(flat, data)
 
     @staticmethod
     def _hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -259,12 +288,14 @@ class Lattice:
             if bare[j - 1]:
                 edges.insert(0, (1, int(self.byte_ids[raw[j - 1]])))
             logs = [(total[j - d] + math.log(self.weight[i]) + d * log_scale, d, i) for d, i in edges]
-            top = max(x for x, _, _ in logs)
+            top = max((x for x, _, _ in logs), default=-math.inf)  # none ends inside a character that is a piece
+            if top == -math.inf:
+                continue
             run = 0.0
             for x, d, i in logs:
                 run += math.exp(x - top) if x > -math.inf else 0.0
                 into[j].append((run, d, i))
-            total[j] = top + math.log(run) if run else -math.inf
+            total[j] = top + math.log(run)
         out, j = [], n
         while j:
             u = int(mix(np.array([(seed + (base + j) * int(GOLD)) % 2**64], np.uint64))[0]) >> 40
@@ -333,6 +364,7 @@ def _very_long(la: Lattice, data: np.ndarray, seed: np.ndarray) -> tuple[np.ndar
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """doc_id, ids: one sampled segmentation of each row's text."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(id_col).isNull()).alias("key"), F.col(text_col).alias("text"))
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 

@@ -10,8 +10,12 @@ boundary that both chunks have in the overlap is proven, and the counts are
 spliced there. Where an overlap holds none, the document is done again with
 overlaps and chunks widened fourfold, until one chunk holds it whole.
 
+Only texts beyond one chunk are cut and shuffled; the rest are counted in place.
+
 Cases. A null text has a null count, an empty one 0. Every row is counted, also
-repeated ones and those without an id.
+repeated ones and those without an id: rows equal in id and text are cut alike,
+spliced once and counted as often as they are there. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomql.llm.common import row_key, staged
+from loomql.llm.common import row_key, ship, staged
 
 FOLDER = "/opt/tokenizers"
 CHUNK = 32_768  # characters
@@ -107,75 +111,95 @@ def splice(parts: list[dict]) -> int | None:
     return total + parts[-1]["tokens"] - begin
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """doc_id, n_tokens, n_chunks of rows whose texts are done whole."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        count = counter(folder).count
+        for b in batches:
+            n = [None if t is None else count(t) if t else 0 for at in range(0, b.num_rows, 500) for t in b.column(1).slice(at, 500).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.ones(len(n), np.int32))], names=["doc_id", "n_tokens", "n_chunks"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_chunks int")
+
+
 def _pass(docs: DataFrame, id_col: str, text_col: str, folder: str, chunk: int, overlap: int) -> DataFrame:
+    """h1, h2, doc_id, n_tokens (null: to be widened), n_chunks, copies of the
+    rows of more than chunk + overlap characters; rows equal in id and text are
+    one with `copies`, as their chunks are the same."""
     h1, h2 = row_key(id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), h1.alias("h1"), h2.alias("h2"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        count = counter(folder).count
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                src, part, of, text, n = [], [], [], [], []
-                for i, t in enumerate(b.column(4).to_pylist()):
-                    if t is None or len(t) <= chunk + overlap:
-                        src.append(i), part.append(0), of.append(1), text.append(None), n.append(None if t is None else count(t) if t else 0)
-                        continue
-                    spans = chunks(len(t), chunk, overlap)
-                    for k, (a, z) in enumerate(spans):
-                        src.append(i), part.append(k), of.append(len(spans)), text.append(t[a:z]), n.append(None)
-                r = b.take(pa.array(src, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*r.columns[:4], pa.array(part, pa.int32()), pa.array(of, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["row", "h1", "h2", "doc_id", "part", "parts", "text", "tokens"])
+            for i in range(batch.num_rows):
+                t = batch.column(3)[i].as_py()
+                spans = chunks(len(t), chunk, overlap)
+                for at in range(0, len(spans), 64):
+                    some = spans[at : at + 64]
+                    r = batch.take(pa.array([i] * len(some), pa.int64()))
+                    part = pa.array(range(at, at + len(some)), pa.int32())
+                    of, text = pa.array([len(spans)] * len(some), pa.int32()), pa.array([t[a:z] for a, z in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([*r.columns[:3], part, of, text], names=["h1", "h2", "doc_id", "part", "parts", "text"])
 
     def encode(batches):
-        for b in batches:
-            part, of, text, n = (b.column(i).to_pylist() for i in (4, 5, 6, 7))
-            lists: list[list] = [[], [], [], []]
-            for i, t in enumerate(text):
-                got = ([], [], [], [])
-                if t is not None:
-                    base = part[i] * chunk
-                    n[i], *got = boundaries(folder, t, base, base + overlap if part[i] else -1, base + chunk, part[i] == of[i] - 1)
-                for held, x in zip(lists, got):
-                    held.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["row", "h1", "h2", "doc_id", "part", "parts", "tokens", "left_at", "left_n", "right_at", "right_n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                part, of, text = (b.column(i).to_pylist() for i in (3, 4, 5))
+                n, lists = [], ([], [], [], [])
+                for k, z, t in zip(part, of, text):
+                    base = k * chunk
+                    tokens, *got = boundaries(folder, t, base, base + overlap if k else -1, base + chunk, k == z - 1)
+                    n.append(tokens)
+                    for held, x in zip(lists, got):
+                        held.append(x)
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["h1", "h2", "doc_id", "part", "parts", "tokens", "left_at", "left_n", "right_at", "right_n"])
 
     def join(batches):
         held: list[dict] = []
+
+        def done():
+            n = splice([p for k, p in enumerate(held) if not k or p["part"] != held[k - 1]["part"]])
+            p = held[0]
+            values = [p["h1"], p["h2"], p["doc_id"], n, p["parts"], sum(x["part"] == 0 for x in held)]
+            kinds = [pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], names=["h1", "h2", "doc_id", "n_tokens", "n_chunks", "copies"])
+
         for b in batches:
-            of = b.column(5).to_numpy()
-            single = pa.array(of == 1)
-            one = b.filter(single)
-            yield pa.RecordBatch.from_arrays([*one.columns[1:4], one.column(6), pa.array([1] * one.num_rows, pa.int32()), pa.array([False] * one.num_rows)], names=["h1", "h2", "doc_id", "n_tokens", "n_chunks", "failed"])
-            done = []
-            for p in b.filter(pa.array(of > 1)).to_pylist():
-                held.append(p)
-                if len(held) == p["parts"]:
-                    n = splice(held)
-                    done.append((p["h1"], p["h2"], p["doc_id"], n, p["parts"], n is None))
+            id_type = b.schema.field(2).type
+            for p in b.to_pylist():
+                if held and (p["h1"], p["h2"]) != (held[0]["h1"], held[0]["h2"]):
+                    yield done()
                     held = []
-            if done:
-                types = [pa.int64(), pa.int64(), b.schema.field(3).type, pa.int64(), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], names=["h1", "h2", "doc_id", "n_tokens", "n_chunks", "failed"])
+                held.append(p)
+        if held:
+            yield done()
 
-    key = f"row long, h1 long, h2 long, doc_id {kind}, part int, parts int"
-    cuts = rows.mapInArrow(cut, f"{key}, text string, tokens long").repartition("row", "part")
+    key = f"h1 long, h2 long, doc_id {kind}, part int, parts int"
+    cuts = rows.mapInArrow(cut, f"{key}, text string").repartition("h1", "h2", "part")
     lists = "left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
-    parts = cuts.mapInArrow(encode, f"{key}, tokens long, {lists}").repartition("row").sortWithinPartitions("row", "part")
-    return parts.mapInArrow(join, f"h1 long, h2 long, doc_id {kind}, n_tokens long, n_chunks int, failed boolean")
+    parts = cuts.mapInArrow(encode, f"{key}, tokens long, {lists}").repartition("h1", "h2").sortWithinPartitions("h1", "h2", "part")
+    return parts.mapInArrow(join, f"h1 long, h2 long, doc_id {kind}, n_tokens long, n_chunks int, copies long")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, n_chunks of every row."""
-    done = None
+    ship(docs.sparkSession)
+    docs = docs.select(id_col, text_col)
+    huge = F.coalesce(F.length(F.col(text_col)) > chunk + overlap, F.lit(False))
+    out = _plain(docs.where(~huge), id_col, text_col, folder)
+    docs = docs.where(huge)
     while True:
         got = staged(_pass(docs, id_col, text_col, folder, chunk, overlap), "tokens")
-        good = got.where("not failed").select("doc_id", "n_tokens", "n_chunks")
-        done = good if done is None else done.union(good)
-        failed = got.where("failed").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+        good = got.where("n_tokens is not null").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        out = out.union(good.select("doc_id", "n_tokens", "n_chunks"))
+        failed = got.where("n_tokens is null").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
         if failed.isEmpty():
-            return done
+            return out
         h1, h2 = row_key(id_col, text_col)
-        docs = docs.select(F.col(id_col), F.col(text_col)).withColumns({"_h1": h1, "_h2": h2}).join(failed, ["_h1", "_h2"], "left_semi").select(id_col, text_col)
+        docs = docs.withColumns({"_h1": h1, "_h2": h2}).join(failed, ["_h1", "_h2"], "left_semi").select(id_col, text_col)
         chunk, overlap = 4 * chunk, 4 * overlap
