@@ -47,7 +47,9 @@ MARGIN = W + K + 4
 
 
 def seeds_of(word: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and first word (within all) of each chosen k-mer."""
+    """Hash, row and first word (within all) of each chosen k-mer. One that its
+    text had before is a seed twice, as such and as the n-th of its kind, so
+    that texts in which words or lines go on repeating match place by place."""
     n = len(word) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -70,7 +72,14 @@ def seeds_of(word: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndar
         chosen[low[of[:m] == of[w - 1 :]]] = True
     for i in np.flatnonzero(size < w):  # a short text: one window
         chosen[first[i] + np.argmin(h[first[i] : first[i] + size[i]])] = True
-    return h[chosen], of[chosen], at[chosen]
+    h, of, at = h[chosen], of[chosen], at[chosen]
+    order = np.lexsort((at, h, of))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1]))[: len(h)]
+    turn = np.empty(len(h), np.int64)
+    turn[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    again = turn > 0
+    more = mix(h[again] + turn[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([h, more]), np.concatenate([of, of[again]]), np.concatenate([at, at[again]])
 
 
 def seeds(docs: DataFrame, id_col: str, text_col: str, k: int, w: int) -> DataFrame:
