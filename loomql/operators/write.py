@@ -576,17 +576,17 @@ def publish(change: Change, folder: str) -> DataFrame:
     jvm = spark._jvm
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = path(at).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    out = fs.create(path(f"{at}/_current.{version}"), True)
+    out = fs.create(path(f"{at}/current.{version}"), True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    fs.delete(path(f"{at}/_current"), False)
-    fs.rename(path(f"{at}/_current.{version}"), path(f"{at}/_current"))
+    fs.delete(path(f"{at}/current"), False)
+    fs.rename(path(f"{at}/current.{version}"), path(f"{at}/current"))
     return published(spark, folder, change.table)
 
 
 def published(spark, folder: str, table: str) -> DataFrame:
     at = f"{folder.rstrip('/')}/{table}"
-    pointer = spark.read.text(f"{at}/_current").first()[0]
+    pointer = spark.read.text(f"{at}/current").first()[0]
     return spark.read.parquet(f"{at}/{json.loads(pointer)['version']}")
 
 
