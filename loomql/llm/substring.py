@@ -43,7 +43,7 @@ PIECE = 16  # words of an aligned piece
 IDENTITY = 0.8
 GAP = 64  # words that a chain may skip
 GAP_COST = 0.1
-MARGIN = W + K + 4
+MARGIN = 64  # words on either side of a chain that are aligned as well
 
 
 def seeds_of(word: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def chain(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, worth:
 
 def chains_of(t: pa.Table, k: int, w: int) -> pa.RecordBatch:
     """Chains of whole groups of matches: key, anchor, and the segments' x0, x1
-    and diagonals, of chains that cover PIECE words or more."""
+    and diagonals."""
     key, anchor, x, y = (t.column(i).to_numpy() for i in range(4))
     x, y = x.astype(np.int64), y.astype(np.int64)
     order = np.lexsort((x, x - y, anchor, key))
@@ -186,16 +186,12 @@ def chains_of(t: pa.Table, k: int, w: int) -> pa.RecordBatch:
     worth = (np.add.reduceat(step, first) if len(first) else step[:0]) + k
     x0, x1, d, key, anchor = x[first], x[last] + k, d[first], key[first], anchor[first]
     pair = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1]))[: len(key)])
-    total = np.add.reduceat(worth, pair) if len(pair) else pair
     out: list[tuple] = []
-    for a, z, covered in zip(pair.tolist(), np.append(pair[1:], len(key)).tolist(), total.tolist()):
-        if covered < PIECE:
-            continue
+    for a, z in zip(pair.tolist(), np.append(pair[1:], len(key)).tolist()):
         s = slice(a, z)
         for found in [[0]] if z - a == 1 else chain(x0[s], x1[s], x0[s] - d[s], x1[s] - d[s], worth[s]):
             i = np.array(found) + a
-            if worth[i].sum() >= PIECE:
-                out.append((key[a], anchor[a], x0[i].tolist(), x1[i].tolist(), d[i].tolist(), int(x0[i[0]]), int(x1[i[-1]]), int(x0[i[0]] - d[i[0]]), int(x1[i[-1]] - d[i[-1]])))
+            out.append((key[a], anchor[a], x0[i].tolist(), x1[i].tolist(), d[i].tolist(), int(x0[i[0]]), int(x1[i[-1]]), int(x0[i[0]] - d[i[0]]), int(x1[i[-1]] - d[i[-1]])))
     kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3, *[pa.int32()] * 4]
     cols = list(zip(*out)) if out else [[]] * 9
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["key", "anchor", "x0", "x1", "d", "xa", "xz", "ya", "yz"])
@@ -216,6 +212,25 @@ def outwards(same: np.ndarray) -> int:
     return int(sums.argmax()) + 1 if len(sums) and sums.max() > 0 else 0
 
 
+def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """Words of x and of y that go on matching from their starts, and matches:
+    along a diagonal, and on to one up to four words off where eight words then
+    match but for one."""
+    i = j = hits = 0
+    while True:
+        m = min(len(x) - i, len(y) - j)
+        same = x[i : i + m] == y[j : j + m]
+        n = outwards(same)
+        i, j, hits = i + n, j + n, hits + int(same[:n].sum())
+        for a, b in ((1, 0), (0, 1), (2, 0), (0, 2), (3, 0), (0, 3), (4, 0), (0, 4)):
+            u, v = x[i + a : i + a + 8], y[j + b : j + b + 8]
+            if len(u) == len(v) == 8 and (u == v).sum() >= 7:
+                i, j = i + a, j + b
+                break
+        else:
+            return i, j, hits
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two short runs of words."""
     row = np.zeros(len(b) + 1, np.int64)
@@ -234,26 +249,25 @@ def align(x: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, d: np.nd
             a = max(a, last_x, last_y + e)
         if a >= z:
             continue
-        same = x[a:z] == y[a - e : z - e]
-        hits = int(same.sum())
+        hits = int((x[a:z] == y[a - e : z - e]).sum())
         if last_x is None:
-            back = min(a, a - e)
-            more = outwards((x[a - back : a] == y[a - e - back : a - e])[::-1])
-            out.append((a - more, z, hits + int((x[a - more : a] == y[a - e - more : a - e]).sum())))
+            more, _, got = extend(x[:a][::-1], y[: a - e][::-1])
+            out.append((a - more, z, got + hits))
         else:
             first, end, got = out[-1]
             between = common(x[last_x:a], y[last_y : a - e])
             if (between + hits) / max(z - last_x, z - e - last_y, 1) >= IDENTITY or (got + between + hits) / max(z - first, 1) >= IDENTITY:
                 out[-1] = first, z, got + between + hits
-            else:
-                out.append((a, z, hits))
+            else:  # apart: both go on towards each other
+                fore, _, more = extend(x[last_x:a], y[last_y : a - e])
+                back, _, less = extend(x[last_x + fore : a][::-1], y[last_y : a - e][::-1])
+                out[-1] = first, end + fore, got + more
+                out.append((a - back, z, hits + less))
         last_x, last_y = z, z - e
     if last_x is not None:
-        m = min(len(x) - last_x, len(y) - last_y)
-        same = x[last_x : last_x + m] == y[last_y : last_y + m]
-        more = outwards(same)
         first, end, got = out[-1]
-        out[-1] = first, end + more, got + int(same[:more].sum())
+        more, _, hits = extend(x[last_x:], y[last_y:])
+        out[-1] = first, end + more, got + hits
     return [(a, z, got / (z - a)) for a, z, got in out if z - a >= PIECE and got >= IDENTITY * (z - a)]
 
 
