@@ -170,14 +170,17 @@ def fit(docs: DataFrame, labelled: DataFrame, text: Column, declared: Column | N
         base[r["_best"]] += r["n"]
         if r["_declared"] >= 0:
             seen[r["_declared"], r["_best"]] += r["n"]
-    shares = base / base.sum() if n else base
+    shares = base / base.sum()
     each = [F.sum(F.when(F.col("_best") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(n)]
     total = lambda: sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0))
     smooth = lambda i, parent: ((F.col(f"n{i}") + STRENGTH * parent) / (total() + STRENGTH)).alias(f"p{i}")
+    if not n:
+        none = docs.sparkSession.createDataFrame([], "_host string, _prior array<double>")
+        return Model(names, table, seen, none, shares)
     domains = counts.where("_domain is not null").groupBy("_domain").agg(*each).select("_domain", *[smooth(i, F.lit(float(shares[i]))) for i in range(n)])
     hosts = counts.where("_host is not null").groupBy("_domain", "_host").agg(*each)
     hosts = hosts.join(domains, "_domain").select("_host", F.array(*[F.log(smooth(i, F.col(f"p{i}"))) for i in range(n)]).cast("array<double>").alias("_prior"))
-    return Model(names, table, np.log(seen / seen.sum(axis=0)) if n else seen, staged(hosts, "priors"), np.log(shares))
+    return Model(names, table, np.log(seen / seen.sum(axis=0)), staged(hosts, "priors"), np.log(shares))
 
 
 def decide(model: Model, text: pa.Array, declared: np.ndarray, suffix: np.ndarray, prior: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +200,8 @@ def decide(model: Model, text: pa.Array, declared: np.ndarray, suffix: np.ndarra
         log[named, suffix[named]] += np.log(SUFFIX_TRUST) - np.log((1 - SUFFIX_TRUST) / max(1, n - 1))
     log[:, n] += math.log(0.01)  # the prior of und, and of any declaration under it
     log[own, n] -= math.log(n + 1)
-    log[size == 0, n] = -np.inf if n else 0.0
+    if n:
+        log[size == 0, n] = -np.inf
     best = log.argmax(axis=1)
     top = log[np.arange(len(text)), best]
     posterior = 1 / np.exp(log - top[:, None]).sum(axis=1)
