@@ -230,25 +230,40 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the lower-cased texts of a column without nulls: the 64-bit hash, row,
     first byte and end byte (both counted within the batch) of each word, in
-    order. Words are runs of bytes other than ASCII space and punctuation. The
-    hash is a polynomial over random byte codes, so any batch gives the same.
+    order. Words are runs of bytes other than ASCII space and punctuation, the
+    no-break space, general punctuation (U+2000 to U+206F) and that of CJK (U+3000
+    to U+303F); a character of a script without spaces (CJK, kana, hangul, Thai,
+    Lao) is a word. The hash is a polynomial over random byte codes, so any batch gives the same.
     Without `lower` the words are the same in number, their places those in the
     text as it is."""
     flat, offsets = utf8(pc.utf8_lower(column) if lower else column)
     if not len(flat):
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    inside = WORD_BYTE[flat]
+    inside, alone = WORD_BYTE[flat], None
+    if (flat >= 0xC2).any():
+        padded = np.append(flat, np.zeros(2, np.uint8))
+        lead = np.flatnonzero((flat == 0xC2) & (padded[1:-1] == 0xA0))
+        for p in (lead, lead + 1):
+            inside[p] = False
+        three = np.flatnonzero(flat >= 0xE0)
+        a, b = flat[three], padded[three + 1]
+        for p in three[(a == 0xE2) & (b <= 0x81) | (a == 0xE3) & (b == 0x80)]:
+            inside[p : p + 3] = False
+        own = three[(a >= 0xE3) & (a <= 0xED) & ~((a == 0xE3) & (b == 0x80)) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)]
+        if len(own):
+            alone = np.zeros(len(flat) + 3, bool)
+            alone[own] = alone[own + 3] = True
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     cut = offsets[:-1][offsets[:-1] < len(flat)]
     before[cut] = False
-    start = np.flatnonzero(inside & ~before)
+    start = np.flatnonzero(inside & (~before if alone is None else ~before | alone[: len(flat)]))
     after = np.empty_like(inside)
     after[-1], after[:-1] = False, inside[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
     after[last] = False
-    end = np.flatnonzero(inside & ~after) + 1
+    end = np.flatnonzero(inside & (~after if alone is None else ~after | alone[1 : len(flat) + 1])) + 1
     value = np.zeros(len(flat) + 1, np.uint64)
     for at in range(0, len(flat), 1 << 15):  # within a block of bytes the powers stay in cache
         piece = flat[at : at + (1 << 15)]
