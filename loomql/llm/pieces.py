@@ -355,7 +355,7 @@ def _very_long(la: Lattice, data: np.ndarray, seed: np.ndarray) -> tuple[np.ndar
         k = int(np.searchsorted(cut, a + SLICE))
         b = int(cut[min(k, len(cut) - 1)])
         # places count from the start of the whole text
-        ids, _ = la.encode(data[a:b], np.array([0, b - a]), (seed.astype(np.uint64) + np.uint64(a) * GOLD))
+        ids, _ = la.encode(data[a:b], np.array([0, b - a]), seed.astype(np.uint64) + np.uint64(a * int(GOLD) % 2**64))
         found.append(ids)
         a = b
     ids = np.concatenate(found)
