@@ -48,8 +48,8 @@ MARGIN = 64  # words on either side of a chain that are aligned as well
 
 def seeds_of(word: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and first word (within all) of each chosen k-mer. One that its
-    text had before is a seed twice, as such and as the n-th of its kind, so
-    that texts in which words or lines go on repeating match place by place."""
+    text had shortly before is hashed as the n-th of its kind, so that texts in
+    which words or lines go on repeating match place by place."""
     n = len(word) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -74,12 +74,13 @@ def seeds_of(word: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndar
         chosen[first[i] + np.argmin(h[first[i] : first[i] + size[i]])] = True
     h, of, at = h[chosen], of[chosen], at[chosen]
     order = np.lexsort((at, h, of))
-    new = np.append(True, (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1]))[: len(h)]
+    same = (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1]) & (np.diff(at[order]) <= GAP)
+    fresh = np.append(True, ~same)[: len(h)]
     turn = np.empty(len(h), np.int64)
-    turn[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    turn[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
     again = turn > 0
-    more = mix(h[again] + turn[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([h, more]), np.concatenate([of, of[again]]), np.concatenate([at, at[again]])
+    h[again] = mix(h[again] + turn[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return h, of, at
 
 
 def seeds(docs: DataFrame, id_col: str, text_col: str, k: int, w: int) -> DataFrame:
@@ -185,6 +186,14 @@ def chains_of(t: pa.Table, k: int, w: int) -> pa.RecordBatch:
     step[step > w] = k
     worth = (np.add.reduceat(step, first) if len(first) else step[:0]) + k
     x0, x1, d, key, anchor = x[first], x[last] + k, d[first], key[first], anchor[first]
+    # a segment within a longer one of the document whose seeds lie close adds nothing
+    order = np.lexsort((-x1, x0, key))
+    base = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])[: len(order)]) * (int(x1.max(initial=0)) + 1)
+    dense = np.where(worth[order] >= (x1 - x0)[order], x1[order] + base, 0)
+    beyond = np.append(0, np.maximum.accumulate(dense)[:-1])[: len(order)]
+    stays = np.ones(len(order), bool)
+    stays[order] = beyond < x1[order] + base
+    x0, x1, d, key, anchor, worth = (v[stays] for v in (x0, x1, d, key, anchor, worth))
     pair = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1]))[: len(key)])
     out: list[tuple] = []
     for a, z in zip(pair.tolist(), np.append(pair[1:], len(key)).tolist()):
