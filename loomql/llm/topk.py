@@ -125,8 +125,7 @@ def least(pairs: DataFrame, k: int) -> DataFrame:
 SQL = f"""
 WITH e AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 pairs AS (
-    SELECT a.id AS query_id, b.id AS neighbour_id,
-        list_sum(list_transform(range(1, len(a.v) + 1), j -> (b.v[j] - a.v[j]) * (b.v[j] - a.v[j]))) AS distance
+    SELECT a.id AS query_id, b.id AS neighbour_id, pow(list_distance(a.v, b.v), 2) AS distance
     FROM e a, e b WHERE a.id % {EVERY} = 0 AND a.id <> b.id),
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)

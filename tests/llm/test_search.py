@@ -94,3 +94,12 @@ def test_probes_come_in_order_of_success():
         moved = low[i : i + 1].copy()
         moved[0, 0, m] += -1 if part[i, 0, m] < 0.5 else 1
         assert keys[i, 0, 1] == ann.bucket(moved)[0, 0]
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    got = topk.nearest(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(topk.SQL).fetchall())
