@@ -53,13 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the
-    lineage ends there, so a lost executor costs at most one stage."""
+    lineage ends there, so a lost executor costs at most one stage. Shuffle files
+    of the write go once it has ended, as nothing will read them again."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/loomql-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     back = spark.read.schema(df.schema).parquet(path)
     back._loomql_path = path
     return back
@@ -188,7 +197,7 @@ def arrow_rows(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Call
 
 
 WORD_BYTE = np.ones(256, bool)
-WORD_BYTE[[*b" \t\n\r\f\v\x1c\x1d\x1e\x1f", *b".,;:!?\"'()[]{}<>*#%&/\\\\|`~^+=-"]] = False
+WORD_BYTE[[*b" \t\n\r\f\v\x1c\x1d\x1e\x1f", *b".,;:!?\"'()[]{}<>*#%&$/\\|`~^+=-"]] = False
 _rng = np.random.Generator(np.random.PCG64(20_240_229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomql.llm.common import arrow_rows, mix, row_key, ship, staged, whole_groups, words_of
+from loomql.llm.common import arrow_rows, mix, row_key, ship, staged, unstage, whole_groups, words_of
 from loomql.llm.secrets import edited
 
 K, W = 8, 12
@@ -288,7 +288,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = seeds(docs, id_col, text_col, k, w)
     found = staged(found.select("seed", "key", "x"), "seeds")
     place = F.struct("key", "x")
-    anchors = found.groupBy("seed").agg(F.min(place).alias("a"), F.max("key").alias("z")).where("a.key < z").select("seed", F.col("a.key").alias("anchor"), F.col("a.x").alias("y"))
+    anchors = found.groupBy("seed").agg(F.min(place).alias("a"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("a.key").alias("anchor"), F.col("a.x").alias("y"))
     matches = found.join(anchors, "seed").where("key != anchor").select("key", "anchor", "x", "y")
     sorted_ = matches.repartition("key").sortWithinPartitions("key", "anchor", "x", "y")
 
@@ -297,6 +297,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield chains_of(t, k, w)
 
     chains = staged(sorted_.mapInArrow(link, CHAIN), "chains")
+    unstage(found)
     texts = words(docs, id_col, text_col).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"))
     cut = lambda a, z: F.expr(f"substring(words, cast(2 * greatest({a} - {MARGIN}, 0) + 1 as int), cast(2 * ({z} + {MARGIN} - greatest({a} - {MARGIN}, 0)) as int))")
     left = chains.join(texts.withColumnRenamed("key", "anchor"), "anchor").select("key", "anchor", F.col("doc_id").alias("kept_doc_id"), "x0", "x1", "d", "xa", "xz", "ya", cut("ya", "yz").alias("there"))
