@@ -1,4 +1,5 @@
 import random
+import re
 from dataclasses import dataclass, field, replace
 
 import duckdb
@@ -287,3 +288,38 @@ def test_projection_refuses_unknown_columns(engine):
     with pytest.raises(Exception, match="two aggregate rows"):
         project.hydrate(engine.frame("u"), engine.frame("u").union(engine.frame("u")), ["t_id"]).collect()
     assert project.hydrate_rows([{"k": 1}, {"k": 2}], [{"k": 1, "n": 3}], lambda r: r["k"]) == [{"k": 1, "n": 3}, {"k": 2}]
+
+
+def test_pages_of_correlated_queries(spark):
+    """Spark loses the order by columns that aren't selected, and takes one page for
+    all outer rows where a correlated column is cast."""
+    con = duckdb.connect()
+    con.sql("create table c as select * from (values (1, 6), (2, 19), (3, 30), (NULL, 40)) t(k, m)")
+    con.sql("create table o as select CASE WHEN id % 7 = 0 THEN NULL ELSE id % 3 + 1 END AS g, id AS v, CASE WHEN id % 5 = 0 THEN NULL ELSE id * 7 % 11 END AS p from range(40) t(id)")
+    o = spark.sql("select if(id % 7 = 0, NULL, id % 3 + 1) AS g, id AS v, if(id % 5 = 0, NULL, id * 7 % 11) AS p from range(0, 40, 1, 4)")
+    e = Engine(spark, {"c": spark.createDataFrame([(1, 6), (2, 19), (3, 30), (None, 40)], "k int, m long"), "o": o})
+    all_, rows = e.table("o").where_column("o.g", "c.k"), e.table("o").select("v").where_column("o.g", "c.k")
+    down, sql = rows.order_by("p", "desc").order_by("v"), "select v from o where g = k"
+    for sub, text in (
+        (down.limit(2), f"{sql} order by p desc nulls first, v limit 2"),
+        (rows.order_by("o.p").order_by("v").limit(2).offset(3), f"{sql} order by p nulls last, v limit 2 offset 3"),
+        (rows.order_by("v").offset(5), f"{sql} order by v offset 5"),
+        (rows.limit(50), sql),
+        (all_.order_by("o.v", "desc").limit(1), "select * from o where g = k order by v desc limit 1"),
+        (all_.distinct("p").order_by("o.p").limit(2), "select distinct p from o where g = k order by p nulls last limit 2"),
+        (all_.select("g as p", "v").order_by_raw("coalesce(p, 0), -v").limit(2), "select * from (select g as p, v from o where g = k) order by coalesce(p, 0), -v limit 2"),
+        (all_.select("p", "v").order_by_raw("1 desc nulls last, v").limit(2), "select p, v from o where g = k order by 1 desc nulls last, v limit 2"),
+        (all_.select("p").select_count(alias="n").group_by("p").having("p", ">=", 0).order_by("n", "desc").order_by_raw("max(v) desc").limit(2), "select p, count(*) as n from o where g = k group by p having p >= 0 order by n desc, max(v) desc limit 2"),
+        (rows.union_all(all_.select("p as v").order_by("p").limit(1)).order_by("v", "desc").limit(3), f"(select p as v from o where g = k order by p limit 1) union all {sql} order by v desc nulls first limit 3"),
+        (e.table("o").select("v").where_column("o.g", "<", "c.k").order_by("p").order_by("v").limit(3), "select v from o where g < k order by p nulls last, v limit 3"),
+        (e.table("o").select("v").order_by("p").order_by("v").limit(2), "select v from o order by p nulls last, v limit 2"),
+    ):
+        for q, join in ((e.table("c").join_lateral(sub, "x"), "cross join lateral"), (e.table("c").left_join_lateral(sub, "x"), "left join lateral")):
+            want = con.sql(f"select m, x.* from c {join} ({text}) x{' on true' * ('left' in join)}").fetchall()
+            assert sorted(repr(tuple(r)) for r in q.select("m", "x.*").rows()) == sorted(map(repr, want)), (join, text)
+    m = lambda q: sorted(r["m"] for r in q.select("m").rows())
+    assert m(e.table("c").where_subquery("m", "=", rows.order_by("p").order_by("v").offset(1).limit(1))) == [19] == [r[0] for r in con.sql(f"select m from c where m = ({sql} order by p nulls last, v limit 1 offset 1)").fetchall()]
+    assert m(e.table("c").where_in_subquery("m", rows.order_by("v").limit(3))) == [6] == [r[0] for r in con.sql(f"select m from c where m in ({sql} order by v limit 3)").fetchall()]
+    assert "TakeOrderedAndProject" in e.table("c").join_subquery(e.table("o").select("v").order_by("p").limit(2), "x", "k", "=", "x.v").df()._jdf.queryExecution().toString()
+    plan = e.table("c").join_lateral(down.limit(2), "x").select("m", "x.v").df()._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\([^\n]*\bp#\d+L DESC NULLS FIRST, v#", plan) and "Sort" not in plan
