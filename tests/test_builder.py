@@ -323,3 +323,34 @@ def test_pages_of_correlated_queries(spark):
     assert "TakeOrderedAndProject" in e.table("c").join_subquery(e.table("o").select("v").order_by("p").limit(2), "x", "k", "=", "x.v").df()._jdf.queryExecution().toString()
     plan = e.table("c").join_lateral(down.limit(2), "x").select("m", "x.v").df()._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"row_number\(\) windowspecdefinition\([^\n]*\bp#\d+L DESC NULLS FIRST, v#", plan) and "Sort" not in plan
+
+
+def test_not_in_queries_join_by_equality(spark):
+    """Over nulls on both sides, in all places, as SQL has it; and no plan compares
+    each row with each, or sends a whole subquery to every task."""
+    con = duckdb.connect()
+    con.sql("create table x as select id, CASE WHEN id % 4 = 0 THEN NULL ELSE id % 10 END AS a from range(40) t(id)")
+    con.sql("create table y as select id AS n, CASE WHEN id % 6 = 5 THEN NULL ELSE id % 7 END AS v from range(30) t(id)")
+    e = Engine(spark, {"x": spark.sql("select id, if(id % 4 = 0, NULL, id % 10) AS a from range(40)"), "y": spark.sql("select id AS n, if(id % 6 = 5, NULL, id % 7) AS v from range(30)")})
+    y = e.table("y").select("v")
+    subs = [(y, "select v from y"), (y.where("n", "<", 5), "select v from y where n < 5"), (y.where("n", "<", 0), "select v from y where n < 0"), (y.where_null("v"), "select v from y where v is null"), (y.where_column("n", "<", "x.id"), "select v from y where n < x.id"), (y.where("n", "<", 5).where_not_in("v", y.where("n", 2)), "select v from y where n < 5 and v not in (select v from y where n = 2)"), (y.where_column("n", "<", "x.id").order_by("n").limit(3), "select v from y where n < x.id order by n limit 3")]
+    x = e.table("x")
+    nots = lambda q, p: q.where_not(lambda g: g.where("id", "<", 3).or_where_in_subquery("a", p))
+    for sub, text in subs:
+        for q, sql in (
+            (x.where_not_in_subquery("a", sub), f"a not in ({text})"),
+            (x.where("id", "<", 3).or_where_not_in_subquery("a", sub), f"id < 3 or a not in ({text})"),
+            (x.where_not(lambda g: g.where_in("a", sub)), f"not (a in ({text}))"),
+            (x.where_not(lambda g: g.where_not_in("a", sub).where("id", ">", 3)), f"not (a not in ({text}) and id > 3)"),
+            (nots(x, sub).or_where("id", 39), f"not (id < 3 or a in ({text})) or id = 39"),
+            (x.where_not(lambda g: nots(g, sub).or_where("id", 39)), f"not (not (id < 3 or a in ({text})) or id = 39)"),
+            (x.where_null("a").or_where_not(lambda g: g.where_not(lambda h: h.where_not_in("a", sub))), f"a is null or not (not (a not in ({text})))"),
+        ):
+            want = [r[0] for r in con.sql(f"select id from x where {sql} order by id").fetchall()]
+            assert ids(q) == want, sql
+            if "x.id" not in text:
+                plan = q.select("id").df()._jdf.queryExecution().executedPlan().toString()
+                assert "NestedLoop" not in plan and "Cartesian" not in plan and "LeftAnti" not in plan, sql
+    left = lambda q: sorted(r["id"] for r in q.delete().state.collect())
+    assert left(x.where_not_in("a", subs[1][0])) == [r[0] for r in con.sql(f"select id from x where (a not in ({subs[1][1]})) is not true order by id").fetchall()]
+    assert "NOT IN (SELECT" in x.where_not_in("a", y).build("postgres")[0]
