@@ -43,3 +43,9 @@ def test_plans(spark):
     assert "BroadcastNestedLoopJoin" not in text("join_inner")
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in text("select_raw_values")
     assert "Exchange" not in text("update_when")
+
+
+@pytest.mark.parametrize("name", ["where_in_lists", "in_subquery"])
+def test_not_in_is_no_nested_loop(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistenceJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
